@@ -26,7 +26,10 @@ def ascii_lower(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; null counts as empty."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+    # one kind of space and a split by one character: String.split then needs no regular expression
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), " "), "")
 
 
 def shared_root(spark: SparkSession) -> str:

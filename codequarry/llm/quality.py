@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .common import words_of
 
 COMMON_WORDS = {
-    "en": "the of and to a in is that for it was on as with be by are this at from".split(),
-    "de": "der die und in den von das zu mit sich des auf für ist nicht im dem eine ein als".split(),
-    "fr": "de la le et les des en un du une que pour est par dans qui pas sur au avec".split(),
-    "es": "de la que el en y los del se las por un su con no una para es al lo".split(),
+    "en": "the of and to a in is that for it was on".split(),
+    "de": "der die und in den von das zu mit sich des auf".split(),
+    "fr": "de la le et les des en un du une que pour".split(),
+    "es": "de la que el en y los del se las por un".split(),
 }
 OTHER = "other"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "rest")
@@ -56,18 +56,17 @@ def _with_histograms(docs: DataFrame) -> DataFrame:
     """Adds _words, _chars (counts of CLASSES) and _common (counts of the language's common words, then of all other words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.withColumns({"_text": text, "_words": words_of(F.col("text")), "_lang": language()})
-    # what [a-z] leaves is about a third of a text; the other classes are counted there
-    docs = docs.withColumn("_left", F.regexp_replace("_text", "[a-z]+", ""))
-    left = F.col("_left")
     n = F.length("_text").cast("long")
 
     def only(keep: str) -> Column:
-        return F.length(F.regexp_replace(left, f"[^{keep}]+", "")).cast("long")
+        # each match is the long stretch between two characters of the class, so a text has few
+        return F.length(F.regexp_replace("_text", f"[^{keep}]+", "")).cast("long")
 
-    counts = [n - F.length(left), only("A-Z"), only("0-9"), only("\\x20\\x09-\\x0D"), only("#*$%&|<>"), only("!\"'()+,./:;=?@\\[\\\\\\]^_`{}~-")]
-    docs = docs.withColumn("_counted", F.array(*counts))
+    upper, digit, symbol, punctuation, rest = (only(c) for c in ("A-Z", "0-9", "#*$%&|<>", "!\"'()+,./:;=?@\\[\\\\\\]^_`{}~-", "\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{10FFFF}"))
+    docs = docs.withColumn("_letters", F.length(F.array_join("_words", "")).cast("long"))
+    docs = docs.withColumn("_counted", F.array(upper, digit, n - F.col("_letters"), symbol, punctuation, rest))
     total = F.aggregate("_counted", F.lit(0).cast("long"), lambda a, b: a + b)
-    docs = docs.withColumn("_chars", F.concat("_counted", F.array(n - total)))
+    docs = docs.withColumn("_chars", F.concat(F.array(n - total), "_counted"))
     # words twice separated, so that neighbours share no space when they are taken out
     docs = docs.withColumns({"_joined": F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")), "_n": F.size("_words").cast("long")})
     listed = F.coalesce(*(F.when(F.col("_lang") == k, F.array(*map(F.lit, v))) for k, v in COMMON_WORDS.items()), F.expr("cast(array() as array<string>)"))
@@ -111,7 +110,19 @@ def divergence(p: Column, q: Column) -> Column:
 def repeated_words(words: Column, window: int) -> Column:
     """Words in windows that occur twice or more in the text, the first included. Windows are compared by XXH64."""
     n = F.size(words)
-    hashes = F.when(n > window, F.transform(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, window))))
+
+    def doubled(hashes: Column, step: int) -> Column:
+        """Hashes of twice as many words each, from hashes of `step` words."""
+        later = F.slice(hashes, F.lit(step + 1), F.greatest(F.size(hashes) - step, F.lit(0)))
+        earlier = F.slice(hashes, F.lit(1), F.size(later))
+        return F.zip_with(earlier, later, lambda a, b: F.xxhash64(a, b))
+
+    assert window & (window - 1) == 0, "windows are a power of two of words"
+
+    def windows(hashes: Column, step: int = 1) -> Column:
+        return hashes if step == window else _let(hashes, lambda h: windows(doubled(h, step), 2 * step))
+
+    hashes = F.when(n > window, windows(F.transform(words, lambda w: F.xxhash64(w))))
 
     def covered(sorted_: Column) -> Column:
         again = F.filter(sorted_, lambda e, i: (F.get(sorted_, i - 1)["h"] == e["h"]) | F.coalesce(F.get(sorted_, i + 1)["h"] == e["h"], F.lit(False)))
@@ -154,7 +165,7 @@ def judge(docs: DataFrame, limits: Limits | None = None, references: dict | None
     d = d.withColumns(
         {
             "n_words": F.col("_n"),
-            "word_chars": F.length(F.array_join(words, "")).cast("long"),
+            "word_chars": F.col("_letters"),
             "n_symbols": F.get("_chars", F.lit(CLASSES.index("symbol"))),
             "n_dup_lines": repeated_lines(F.col("_text")),
             "n_repeat_words": repeated_words(words, limits.window),
