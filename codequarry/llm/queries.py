@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, urls
-from .common import table
+from . import bpe, quality, token_counts, urls
+from .common import new_path, table
+
+#: The tokenizer files of the registered queries; the operators take any path.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, WORD_BPE, new_path(spark, "token-counts")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +34,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe_codec": op2_bpe_codec,
+    "op3_token_counts": op3_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op10_url_filters": op10_url_filters,
 }
