@@ -6,14 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, token_counts, urls
-from .common import new_path, table
+from . import bpe, quality, simhash, token_counts, topk, urls
+from .common import Scratch, new_path, table
 
 #: The tokenizer files of the registered queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10, 1024)
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -25,6 +29,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, WORD_BPE, new_path(spark, "token-counts")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
@@ -34,8 +43,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_token_counts": op3_token_counts,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op10_url_filters": op10_url_filters,
 }
