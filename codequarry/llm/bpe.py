@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import text_slices
+
 #: Entries of a generation of a codec's caches.
 CACHE = 250_000
 #: White space of Unicode, as the library's expressions see it (str.split would also cut at \x1c-\x1f).
@@ -184,17 +185,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of at most about `most` bytes of text; a longer text is one by itself."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).cumsum()
-    at = 0
-    while at < batch.num_rows:
-        done = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, done + most, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Adds ids (array<bigint>) and decoded (string) to a table with a `text` column.
 
@@ -209,7 +199,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for part in _slices(batch, "text"):
+            for part in text_slices(batch, "text"):
                 ids = [c.encode(t or "") for t in part.column("text").to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = pa.array(np.concatenate([*ids, np.array([], "<u4")]).astype(np.int64))
