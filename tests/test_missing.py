@@ -1,0 +1,16 @@
+"""What isn't registered is named in the README's list of missing parts."""
+
+import pathlib
+
+import __spark_entry__
+
+README = (pathlib.Path(__file__).parents[1] / "README.md").read_text()
+MISSING = README.partition("## Missing")[2].partition("\n## ")[0]
+
+
+def registered(prefix: str) -> bool:
+    return any(q == prefix or q.startswith(prefix + "_") for q in __spark_entry__.queries())
+
+
+def test_pipeline_runs_or_is_listed():
+    assert registered("pipeline") != ("`pipeline`" in MISSING)
