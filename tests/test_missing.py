@@ -14,3 +14,8 @@ def registered(prefix: str) -> bool:
 
 def test_pipeline_runs_or_is_listed():
     assert registered("pipeline") != ("`pipeline`" in MISSING)
+
+
+def test_every_operator_is_registered_or_listed():
+    for n in (1, 2, 3, 4, 5, 6, 8, 9, 10):
+        assert registered(f"op{n}") != (f"- op{n} " in MISSING), n
