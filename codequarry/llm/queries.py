@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, substrings, token_counts, topk, urls
+from . import bpe, packing, quality, simhash, substrings, token_counts, topk, urls
 from .common import Scratch, new_path, table
 
 #: The tokenizer files of the registered queries; the operators take any path.
@@ -38,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE, Scratch(spark))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_shortest_pack_first": op7_shortest_pack_first,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_url_filters": op10_url_filters,
 }

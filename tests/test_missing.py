@@ -17,5 +17,5 @@ def test_pipeline_runs_or_is_listed():
 
 
 def test_every_operator_is_registered_or_listed():
-    for n in (1, 2, 3, 4, 5, 6, 8, 9, 10):
+    for n in range(1, 11):
         assert registered(f"op{n}") != (f"- op{n} " in MISSING), n
