@@ -3,6 +3,7 @@
 import pathlib
 
 import __spark_entry__
+import pytest
 
 README = (pathlib.Path(__file__).parents[1] / "README.md").read_text()
 MISSING = README.partition("## Missing")[2].partition("\n## ")[0]
@@ -19,3 +20,10 @@ def test_pipeline_runs_or_is_listed():
 def test_every_operator_is_registered_or_listed():
     for n in range(1, 11):
         assert registered(f"op{n}") != (f"- op{n} " in MISSING), n
+
+
+def test_entry_says_what_is_missing():
+    assert registered("score_report") != ("`score_report`" in MISSING)
+    if not registered("score_report"):
+        with pytest.raises(NotImplementedError, match="score_report is missing"):
+            __spark_entry__.entry(None)
