@@ -13,6 +13,7 @@ as literals and no text is shuffled.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,20 +28,23 @@ COMMON_WORDS = {
     "es": "de la que el en y los del se las por un".split(),
 }
 OTHER = "other"
-CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "rest")
+#: The bar has a class of its own: among all symbols a list of links looks like prose.
+CLASSES = ("lower", "upper", "digit", "space", "symbol", "bar", "punctuation", "rest")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """max_chars_js, max_words_js: divergence in bits beyond which a text is rejected; min_*: guards below which the histogram isn't used."""
+    """max_chars_js: divergence in bits beyond which a text is rejected; max_words_part: the same for words, as a part of
+    the divergence that a text without any common word has to its reference, so a reference summed over much junk
+    lowers the limit with it; min_*: guards below which the histogram isn't used."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
     min_chars: int = 200
-    max_chars_js: float = 0.10
+    max_chars_js: float = 0.035
     min_hist_words: int = 50
-    max_words_js: float = 0.15
+    max_words_part: float = 0.7
 
 
 def _let(value: Column, body) -> Column:
@@ -62,9 +66,10 @@ def _with_histograms(docs: DataFrame) -> DataFrame:
         # each match is the long stretch between two characters of the class, so a text has few
         return F.length(F.regexp_replace("_text", f"[^{keep}]+", "")).cast("long")
 
-    upper, digit, symbol, punctuation, rest = (only(c) for c in ("A-Z", "0-9", "#*$%&|<>", "!\"'()+,./:;=?@\\[\\\\\\]^_`{}~-", "\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{10FFFF}"))
+    upper, digit, symbol, punctuation, rest = (only(c) for c in ("A-Z", "0-9", "#*$%&<>", "!\"'()+,./:;=?@\\[\\\\\\]^_`{}~-", "\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{10FFFF}"))
+    bar = (F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("|"), F.lit("")))).cast("long")
     docs = docs.withColumn("_letters", F.length(F.array_join("_words", "")).cast("long"))
-    docs = docs.withColumn("_counted", F.array(upper, digit, n - F.col("_letters"), symbol, punctuation, rest))
+    docs = docs.withColumn("_counted", F.array(upper, digit, n - F.col("_letters"), symbol, bar, punctuation, rest))
     total = F.aggregate("_counted", F.lit(0).cast("long"), lambda a, b: a + b)
     docs = docs.withColumn("_chars", F.concat(F.array(n - total), "_counted"))
     # words twice separated, so that neighbours share no space when they are taken out
@@ -89,6 +94,16 @@ def reference(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
     return {r["_lang"]: ([r[f"c{i}"] or 0 for i in range(len(CLASSES))], [r[f"w{i}"] or 0 for i in range(len(COMMON_WORDS.get(r["_lang"], [])) + 1)]) for r in rows}
 
 
+def bare_divergence(common: list[int]) -> float | None:
+    """The divergence in bits of a text without a common word to a reference of common words (the last: all others);
+    None where the reference has no common word, as nothing then differs from it."""
+    total, others = sum(common), common[-1]
+    if total == others:
+        return None
+    q = others / total
+    return (1 - q + math.log2(2 / (1 + q)) + (q * math.log2(2 * q / (1 + q)) if q else 0.0)) / 2
+
+
 def divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence in bits of two histograms of equal length; null if either is empty."""
 
@@ -166,7 +181,7 @@ def judge(docs: DataFrame, limits: Limits | None = None, references: dict | None
         {
             "n_words": F.col("_n"),
             "word_chars": F.col("_letters"),
-            "n_symbols": F.get("_chars", F.lit(CLASSES.index("symbol"))),
+            "n_symbols": F.get("_chars", F.lit(CLASSES.index("symbol"))) + F.get("_chars", F.lit(CLASSES.index("bar"))),
             "n_dup_lines": repeated_lines(F.col("_text")),
             "n_repeat_words": repeated_words(words, limits.window),
             "chars_js": F.when(F.length("_text") >= limits.min_chars, divergence(doubles(F.col("_chars")), known(0))),
@@ -174,7 +189,9 @@ def judge(docs: DataFrame, limits: Limits | None = None, references: dict | None
         }
     )
     d = d.withColumn("base_failed", (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words")))
-    odd = (F.coalesce("chars_js", F.lit(0.0)) > limits.max_chars_js) | (F.coalesce("words_js", F.lit(0.0)) > limits.max_words_js)
+    bare = {k: b for k, v in sorted(references.items()) if (b := bare_divergence(v[1])) is not None}
+    most_words = F.coalesce(*(F.when(F.col("_lang") == k, F.lit(limits.max_words_part * b)) for k, b in bare.items()), F.lit(None).cast("double"))
+    odd = (F.coalesce("chars_js", F.lit(0.0)) > limits.max_chars_js) | F.coalesce(F.col("words_js") > most_words, F.lit(False))
     d = d.withColumn("kept", ~F.col("base_failed") & ~odd)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_js", "words_js", "base_failed", "kept"]
     return d.select(*(c for c in own if c not in new and not c.startswith("_")), *new)

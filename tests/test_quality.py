@@ -1,0 +1,54 @@
+"""op6: texts without common words and link lists are rejected, clean ones stay, whatever the reference."""
+
+import random
+
+import pytest
+from codequarry.llm import quality
+
+NOUNS = "house river garden window market teacher village morning letter bridge summer forest paper table station picture winter number doctor kitchen".split()
+
+
+def clean(seed):
+    r = random.Random(seed)
+    words = [r.choice(quality.COMMON_WORDS["en"]) if r.random() < 1 / 6 else r.choice(NOUNS) + r.choice(["", "s", "ly"]) for _ in range(300)]
+    return ". ".join(" ".join(words[i : i + 10]).capitalize() for i in range(0, 300, 10)) + "."
+
+
+def bare(seed):
+    r = random.Random(seed)
+    words = [r.choice(NOUNS) + r.choice(["", "s", "ly"]) for _ in range(300)]
+    return ". ".join(" ".join(words[i : i + 10]).capitalize() for i in range(0, 300, 10)) + "."
+
+
+def links(seed):
+    r = random.Random(seed)
+    return " | ".join((r.choice(NOUNS) + r.choice(["", "s", "ly"])).capitalize() for _ in range(150))
+
+
+def few_words_links(seed):
+    """A link list in which a common word stands as often as in prose."""
+    return " | ".join(clean(seed).split()[:150])
+
+
+@pytest.mark.parametrize("junk", [0, 30])
+def test_junk_goes_and_clean_texts_stay(spark, junk):
+    rows = [("clean", clean(i)) for i in range(60)] + [("bare", bare(i)) for i in range(3 + junk)] + [("links", links(i)) for i in range(3)] + [("few", few_words_links(i)) for i in range(3)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in rows], "kind string, text string, lang string")
+    for r in quality.judge(df).collect():
+        assert not r["base_failed"]
+        assert r["kept"] == (r["kind"] == "clean"), (r["kind"], r["chars_js"], r["words_js"])
+
+
+def test_bar_counts_as_a_symbol_still(spark):
+    df = spark.createDataFrame([("a | b # c", "en"), (None, None), ("", "xx")], "text string, lang string")
+    got = quality.judge(df).select("n_symbols", "kept").collect()
+    assert [tuple(r) for r in got] == [(2, False), (0, False), (0, False)]
+
+
+def test_bare_divergence_is_that_of_a_text_without_common_words(spark):
+    from pyspark.sql import functions as F
+
+    ref = [50, 30, 20, 500]
+    js = spark.range(1).select(quality.divergence(F.expr("array(0d, 0d, 0d, 100d)"), F.array(*(F.lit(float(x)) for x in ref)))).first()[0]
+    assert abs(js - quality.bare_divergence(ref)) < 1e-12
+    assert quality.bare_divergence([0, 0, 5]) is None
