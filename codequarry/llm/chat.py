@@ -5,8 +5,8 @@ and a mask that leaves only the assistant's words and end marks to be learned. T
 participant; they are rendered as such in every perspective.
 
 DataFrame expressions only. A rendering is a table of segments, one a turn, with their places in the whole text, so
-no conversation is ever gathered in one row or task: places are prefix sums in two steps, within blocks of turns and
-over the blocks' totals, and participants meet turns by a salted key.
+no conversation is ever gathered in one row or task. Places are prefix sums in two steps: over the totals of blocks of
+turns, from lengths alone, and within blocks. Texts are shuffled once, by conversation and block.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Turns that share turn // BLOCK are summed up together.
 BLOCK = 256
-#: Parts into which each conversation's turns are spread when they meet its participants.
-SALTS = 16
 START, END, NOBODY = "<|im_start|>", "<|im_end|>", "unknown"
 _OWN = ["conv_id", "turn", "role", "text"]
 
@@ -41,37 +39,38 @@ def rotate(turns: DataFrame, system: str = "system") -> DataFrame:
     texts are never cut. A conversation that holds a third of all rows is summed up block by block.
     """
     speaker = F.when(F.coalesce(F.col("role"), F.lit("")) == "", F.lit(NOBODY)).otherwise(F.col("role"))
-    rows = turns.select("conv_id", "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    # repeated rows differ in salt only if their hash does, which is no harm: every salt has all participants
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("turn", "speaker", "text"), F.lit(SALTS)).cast("int"))
-    people = turns.select("conv_id", speaker.alias("perspective")).where(F.col("perspective") != system).distinct()
-    people = people.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("conv_id", "_conv")
-    met = rows.join(people, rows["conv_id"].eqNullSafe(people["_conv"]) & (rows["salt"] == people["salt"])).drop("salt", "_conv")
+    # a struct equals another with null in the same place, so a null conversation or turn needs no care in joins
+    key = F.struct(F.struct("conv_id").alias("conv"), F.floor(F.col("turn") / BLOCK).alias("block"))
+    rows = turns.select(key.alias("key"), "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+
+    # blocks in each perspective: how many turns, and how long
+    tally = rows.groupBy("key", "speaker").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    people = tally.select(F.col("key")["conv"].alias("conv"), F.col("speaker").alias("perspective")).where(F.col("perspective") != system).distinct()
+    tally = tally.withColumn("conv", F.col("key")["conv"]).join(people, "conv")
+    around = F.length(F.concat(header(F.col("perspective"), F.col("speaker"), system), F.lit(END + "\n")))
+    blocks = tally.groupBy("key", "conv", "perspective").agg(F.sum("n").alias("n"), F.sum(F.col("chars") + F.col("n") * around).alias("size"))
+    before = Window.partitionBy("conv", "perspective").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("key", "perspective", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("at0"))
 
     open_ = header(F.col("perspective"), F.col("speaker"), system)
-    met = met.withColumn("segment", F.concat(open_, F.col("text"), F.lit(END + "\n")))
-    met = met.withColumns({"size": F.length("segment").cast("long"), "opened": F.length(open_).cast("long"), "block": F.floor(F.col("turn") / BLOCK)})
-    group = ["conv_id", "perspective"]
-    in_block = Window.partitionBy(*group, "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, 0)
-    placed = met.withColumns({"nth": F.row_number().over(in_block.rowsBetween(Window.unboundedPreceding, 0)), "until": F.sum("size").over(in_block)})
-    before = Window.partitionBy(*group).orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = met.groupBy(*group, "block").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    blocks = blocks.select(*(F.col(c).alias(f"b_{c}") for c in (*group, "block")), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("at0"))
-    same = [placed[c].eqNullSafe(blocks[f"b_{c}"]) for c in (*group, "block")]
-    out = placed.join(blocks, same[0] & same[1] & same[2])
-    start = F.col("at0") + F.col("until") - F.col("size")
+    met = rows.join(blocks, "key").withColumn("segment", F.concat(open_, F.col("text"), F.lit(END + "\n")))
+    met = met.withColumns({"size": F.length("segment").cast("long"), "opened": F.length(open_).cast("long")})
+    # rows lie by key already, so this sorts within partitions and shuffles nothing
+    so_far = Window.partitionBy("key", "perspective").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text").rowsBetween(Window.unboundedPreceding, 0)
+    out = met.withColumns({"nth": F.row_number().over(so_far), "end": F.col("at0") + F.sum("size").over(so_far)})
+    start = F.col("end") - F.col("size")
     learned = F.col("speaker") == F.col("perspective")
     return out.select(
-        "conv_id",
+        F.col("key")["conv"]["conv_id"].alias("conv_id"),
         "perspective",
         (F.col("n0") + F.col("nth") - 1).cast("long").alias("position"),
         "turn",
         "speaker",
         "segment",
         start.alias("start"),
-        (start + F.col("size")).alias("end"),
+        "end",
         F.when(learned, start + F.col("opened")).alias("mask_start"),
-        F.when(learned, start + F.col("size") - 1).alias("mask_end"),
+        F.when(learned, F.col("end") - 1).alias("mask_end"),
     )
 
 
