@@ -1,17 +1,18 @@
 """Shortest-pack-first packing over the length histogram.
 
-Documents become ids; every full sequence's worth is a sequence of its own, and
-the rest of each document is packed. Packing works on the histogram of rests
-alone: lengths are placed longest first, each into the pack with the most room,
-and what is counted is patterns, not documents. Gaps that no whole rest fits are
-filled by cutting rests of the emptiest packs, so that at most one pack stays
-short; that one is cut at powers of two, which need no padding. Patterns return
-to the documents by each rest's rank among those of its length.
+Documents become ids; every full sequence's worth is a sequence of its own, and the rest of each document is packed.
+Packing works on the histogram of rests alone: lengths are placed longest first, each into the pack with the most room,
+and what is counted is patterns, not documents; there are a few for each length, however many documents there are.
+Packs that end up full are sequences. The others are laid end to end as one stream, cut at every sequence's length, so
+nothing is padded; the stream's own end is cut at powers of two, which need no padding. Patterns return to the documents
+by each rest's rank among those of its length: sequence and offset follow from it by arithmetic.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,133 +25,146 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import Scratch, text_slices
 
+#: A word, or white space beyond one a word, of more characters than this goes to the codec's own merges.
+LONG = 4096
+
 
 @dataclass
 class Pattern:
-    """`count` packs alike. parts: (length of the rest, first rank, start within the rest, length of the part)."""
+    """`count` packs alike. parts: (length of the rest, first rank of those that lie here in each pack)."""
 
     count: int
-    parts: list[tuple[int, int, int, int]] = field(default_factory=list)
-
-    @property
-    def fill(self) -> int:
-        return sum(p[3] for p in self.parts)
+    parts: list[tuple[int, int]] = field(default_factory=list)
+    fill: int = 0
 
     def split(self, n: int) -> Pattern:
         """Takes n packs off the front."""
-        front = Pattern(n, list(self.parts))
+        front = Pattern(n, list(self.parts), self.fill)
         self.count -= n
-        self.parts = [(length, rank + n, start, size) for length, rank, start, size in self.parts]
+        self.parts = [(length, rank + n) for length, rank in self.parts]
         return front
 
 
 def plan(histogram: dict[int, int], size: int) -> list[Pattern]:
     """Patterns of packs of at most `size` that hold every rest of the histogram (length: count; lengths from 1 to size).
 
-    All packs but one are full, unless there is too little; the last one's fill is split into powers of two."""
+    A length opens at most one pattern and splits at most one, so there are at most two for each length."""
     by_room: dict[int, list[Pattern]] = {}
+    rooms: list[int] = []  # a heap of rooms, widest first; some may be empty by now
+
+    def put(p: Pattern) -> None:
+        held = by_room.setdefault(size - p.fill, [])
+        if not held:
+            heapq.heappush(rooms, p.fill - size)
+        held.append(p)
+
     for length in sorted((x for x in histogram if histogram[x] > 0), reverse=True):
-        rank, left = 0, histogram[length]
+        rank, left, touched = 0, histogram[length], []
         while left:
-            room = max((r for r in by_room if r >= length and by_room[r]), default=None)
-            if room is None:
+            while rooms and not by_room[-rooms[0]]:
+                heapq.heappop(rooms)
+            if not rooms or -rooms[0] < length:
+                if touched:  # the packs just added to may have the most room
+                    for p in touched:
+                        put(p)
+                    touched = []
+                    continue
                 pattern, n = Pattern(left), left
             else:
-                pattern = by_room[room].pop()
+                pattern = by_room[-rooms[0]].pop()
                 n = min(pattern.count, left)
                 if n < pattern.count:
-                    by_room[room].append(rest := pattern)
+                    rest = pattern
                     pattern = rest.split(n)
-            pattern.parts.append((length, rank, 0, length))
-            by_room.setdefault(size - pattern.fill, []).append(pattern)
+                    put(rest)
+            pattern.parts.append((length, rank))
+            pattern.fill += length
+            touched.append(pattern)
             rank, left = rank + n, left - n
-    full = by_room.pop(0, [])
-    return full + _fill_gaps(sorted((p for ps in by_room.values() for p in ps), key=lambda p: -p.fill), size)
-
-
-def _fill_gaps(short: list[Pattern], size: int) -> list[Pattern]:
-    """Fills the fullest packs from the emptiest, cutting rests where they don't fit (short: fullest first)."""
-    done: list[Pattern] = []
-    while short:
-        if len(short) == 1 and short[0].count == 1:
-            return done + _powers_of_two(short.pop())
-        taker = short[0]
-        giver = short[-1]
-        if taker is giver:
-            # packs alike: half of them give to the other half
-            n = taker.count // 2
-            odd = taker.count - 2 * n
-            giver = taker.split(n)
-            if odd:
-                short.append(taker.split(1))
-        else:
-            short.pop()
-            n = min(taker.count, giver.count)
-            if giver.count > n:
-                short.append(giver)
-                giver = giver.split(n)
-            if taker.count > n:
-                rest = taker
-                taker = rest.split(n)
+        for p in touched:
+            put(p)
+    return [p for ps in by_room.values() for p in ps]
+
+
+@dataclass
+class Layout:
+    """Where the rest of each length and rank lies. places: for each length, first ranks of its parts and, beside them,
+    rows (first rank, position of that one, step from rank to rank). Positions count ids over all sequences, full
+    packs first; from `whole` on, sequences end at `ends`."""
+
+    size: int
+    places: dict[int, tuple[np.ndarray, np.ndarray]]
+    whole: int
+    ends: list[int]
+
+    @property
+    def sequences(self) -> int:
+        return self.whole // self.size + len(self.ends)
+
+    def pieces(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
+        """(start within the rest, length, sequence, offset) of one rest."""
+        firsts, rows = self.places[length]
+        r0, at, step = rows[np.searchsorted(firsts, rank, "right") - 1].tolist()
+        at += (rank - r0) * step
+        out, start = [], 0
+        while start < length:
+            if at < self.whole:
+                sequence, offset = divmod(at, self.size)
+                end = at - offset + self.size
             else:
-                short.pop(0)
-        if taker in short:
-            short.remove(taker)
-        gap = size - taker.fill
-        while gap and giver.parts:
-            length, rank, start, part = giver.parts.pop()
-            used = min(gap, part)
-            taker.parts.append((length, rank, start, used))
-            if used < part:
-                giver.parts.append((length, rank, start + used, part - used))
-            gap -= used
-        if not gap:
-            done.append(taker)
-        else:
-            short.insert(0, taker)
-        if giver.parts:
-            short.append(giver)
-        short.sort(key=lambda p: -p.fill)
-    return done
-
-
-def _powers_of_two(last: Pattern) -> list[Pattern]:
-    """The single short pack as packs whose fills are powers of two."""
-    out, parts = [], list(last.parts)
-    left = last.fill
-    while left:
-        want = 1 << (left.bit_length() - 1)
-        left -= want
-        pack = Pattern(1)
-        while want:
-            length, rank, start, part = parts.pop(0)
-            used = min(want, part)
-            pack.parts.append((length, rank, start, used))
-            if used < part:
-                parts.insert(0, (length, rank, start + used, part - used))
-            want -= used
-        out.append(pack)
-    return out
+                i = bisect.bisect_right(self.ends, at)
+                end, sequence = self.ends[i], self.whole // self.size + i
+                offset = at - (self.ends[i - 1] if i else self.whole)
+            n = min(length - start, end - at)
+            out.append((start, n, sequence, offset))
+            start, at = start + n, at + n
+        return out
+
+
+def layout(patterns: list[Pattern], size: int) -> Layout:
+    rows: dict[int, list[tuple[int, int, int]]] = {}
+    at = 0
+    # full packs are the stream's start: they are as long as a sequence, so no cut falls within one
+    for p in sorted(patterns, key=lambda p: -p.fill):
+        offset = 0
+        for length, rank in p.parts:
+            rows.setdefault(length, []).append((rank, at + offset, p.fill))
+            offset += length
+        at += p.count * p.fill
+    whole, ends = at // size * size, []
+    done = whole
+    while done < at:
+        done += 1 << ((at - done).bit_length() - 1)
+        ends.append(done)
+    places = {length: np.array(sorted(r), np.int64) for length, r in rows.items()}
+    return Layout(size, {length: (r[:, 0].copy(), r) for length, r in places.items()}, whole, ends)
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """From a text to its ids as bytes of little-endian unsigned 32-bit integers, as the tokenizers library gives them.
+    """From a text to its ids as unsigned 32-bit integers, as the tokenizers library gives them.
 
-    Stretches that weren't met yet go through the rank-file library, which merges by the vocabulary's own order; that
-    holds only where ids follow the merges, and elsewhere the codec's own merges are used.
+    Where ids follow the merges, the rank-file library reads the same vocabulary and merges by it in compiled code; for
+    other files, and for texts with stretches that are costly for it (one word or one run of white space of thousands
+    of characters), it is the codec's own merges.
     """
     codec = bpe.codec(path)
+    if codec.lowers or not all(codec.vocab.get(a + b) == rank + 256 for (a, b), rank in codec.ranks.items()):
+        return codec.encode
+    import public_tokenizers
+    import tiktoken
+
     plain = {v: k for k, v in codec.raw.items() if codec.strings[k] not in codec.special}
-    ordered = not codec.lowers and all(codec.vocab.get(a + b) == rank + 256 for (a, b), rank in codec.ranks.items())
-    if ordered:
-        import public_tokenizers
-        import tiktoken
+    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens=codec.special)
+
+    def encode(text: str) -> np.ndarray:
+        words = text.split()
+        longest, chars = max(map(len, words), default=0), sum(map(len, words))
+        if longest > LONG or len(text) - chars - len(words) > LONG:
+            return codec.encode(text)
+        return fast.encode_to_numpy(text, allowed_special="all")
 
-        fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens={})
-        slow = codec.by_chunk.make
-        codec.by_chunk.make = lambda chunk: slow(chunk) if len(chunk) > 4096 or any(s in chunk for s in codec.special) else np.array(fast.encode_ordinary(chunk), "<u4").tobytes()
-    return codec.encode
+    return encode
 
 
 def tokens(docs: DataFrame, path: str, size: int, end: int = 0) -> DataFrame:
@@ -193,23 +207,16 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, size: int = 1024, end: in
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens", "rest_ids"), F.lit(buckets)).cast("int"))
     sizes = scratch.cut(rows.groupBy("rest", "bucket").agg(F.count("*").alias("n"), F.sum(F.size("full_crcs")).alias("full")), "lengths")
-    histogram = {r["rest"]: r["n"] for r in sizes.where("rest > 0").groupBy("rest").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
-    patterns = plan(histogram, size)
-    # the parts of each length, by rank: where each range of ranks goes
-    parts: dict[int, list[tuple[int, int, int, int, int, int]]] = {}
-    packs = 0
-    for p in patterns:
-        offset = 0
-        for length, rank, start, used in p.parts:
-            parts.setdefault(length, []).append((rank, rank + p.count, start, used, packs, offset))
-            offset += used
-        packs += p.count
-    places = {length: _by_rank(ps) for length, ps in parts.items()}
-
+    lengths = sizes.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).orderBy("rest").collect()  # at most `size` rows
+    found = layout(plan({r["rest"]: r["n"] for r in lengths if r["rest"]}, size), size)
+    first_full, at = {}, found.sequences
+    for r in lengths:
+        first_full[r["rest"]] = at
+        at += r["full"]
+
+    # ranks among a length go from bucket to bucket; the sums are over one row for each bucket
     before = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each length and bucket, so at most size * shuffle partitions
-    everywhere = Window.orderBy("rest", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("rest", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"), F.coalesce(F.sum("full").over(everywhere), F.lit(0)).alias("full0"))
+    base = sizes.select("rest", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"), F.coalesce(F.sum("full").over(before), F.lit(0)).alias("full0"))
     within = Window.partitionBy("rest", "bucket").orderBy("doc_id", "doc_tokens", "rest_ids")
     ranked = rows.withColumns({"rank": F.row_number().over(within) - 1, "full": F.sum(F.size("full_crcs")).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.size("full_crcs")})
     ranked = ranked.join(base, ["rest", "bucket"]).withColumns({"rank": F.col("rank") + F.col("rank0"), "full": F.col("full") + F.col("full0")})
@@ -219,12 +226,12 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, size: int = 1024, end: in
         for batch in batches:
             out: list[tuple] = []
             for doc, n, crcs, rest, blob, rank, full in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                out += [(doc, i * size, size, crc, n, packs + full + i, 0) for i, crc in enumerate(crcs)]
+                full += first_full[rest]
+                out += [(doc, i * size, size, crc, n, full + i, 0) for i, crc in enumerate(crcs)]
                 if rest:
-                    firsts, found = places[rest]
                     ids = np.frombuffer(blob, "<u2" if len(blob) == 2 * rest else "<u4").astype("<u4")
-                    for r0, start, used, seq, offset in found[np.searchsorted(firsts, rank, "right") - 1]:
-                        out.append((doc, len(crcs) * size + start, used, zlib.crc32(ids[start : start + used].tobytes()), n, seq + rank - r0, offset))
+                    for start, used, seq, offset in found.pieces(rest, rank):
+                        out.append((doc, len(crcs) * size + start, used, zlib.crc32(ids[start : start + used].tobytes()), n, seq, offset))
             columns = zip(*out) if out else [[]] * 7
             kinds = [batch.schema.field(0).type, *[pa.int64()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], _NAMES)
@@ -234,14 +241,3 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, size: int = 1024, end: in
 
 
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-
-def _by_rank(parts: list[tuple[int, int, int, int, int, int]]) -> tuple[np.ndarray, list[list[tuple[int, int, int, int, int]]]]:
-    """First ranks of ranges within which all ranks have the same parts, and those parts (rank0, start, length, sequence, offset)."""
-    cuts = sorted({r for p in parts for r in p[:2]})
-    found: list[list] = [[] for _ in cuts]
-    where = {r: i for i, r in enumerate(cuts)}
-    for r0, r1, start, used, seq, offset in parts:
-        for i in range(where[r0], where[r1]):
-            found[i].append((r0, start, used, seq, offset))
-    return np.array(cuts), found

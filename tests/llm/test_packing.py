@@ -1,5 +1,6 @@
 """op7: every document's ids come back from its pieces, and sequences are filled without gaps."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,13 +92,41 @@ def test_plan_covers_every_histogram():
         size = int(random.integers(1, 40))
         histogram = {int(n): int(random.integers(1, 30)) for n in random.integers(1, size + 1, random.integers(1, 12))}
         patterns = packing.plan(dict(histogram), size)
-        got = Counter()
-        for p in patterns:
-            assert 0 < p.fill <= size
-            for length, rank, start, used in p.parts:
-                for r in range(rank, rank + p.count):
-                    for i in range(start, start + used):
-                        got[length, r, i] += 1
-        assert got == {(n, r, i): 1 for n, c in histogram.items() for r in range(c) for i in range(n)}
-        short = [p.fill for p in patterns for _ in range(p.count) if p.fill < size]
-        assert len(set(short)) == len(short) and all(f & (f - 1) == 0 for f in short)
+        assert all(0 < p.fill <= size for p in patterns) and len(patterns) <= 2 * len(histogram)
+        found = packing.layout(patterns, size)
+        held = defaultdict(list)
+        for length, count in histogram.items():
+            for rank in range(count):
+                at = 0
+                for start, used, sequence, offset in found.pieces(length, rank):
+                    assert start == at and used > 0
+                    at += used
+                    held[sequence].append((offset, used))
+                assert at == length
+        assert sorted(held) == list(range(found.sequences))
+        fills = []
+        for spans in held.values():
+            at = 0
+            for offset, used in sorted(spans):
+                assert offset == at
+                at += used
+            fills.append(at)
+        short = [f for f in fills if f < size]
+        assert max(fills) <= size and len(set(short)) == len(short) and all(f & (f - 1) == 0 for f in short)
+
+
+def test_plan_stays_small_and_fast():
+    for count in (1, 50, 5_000, 500_000):
+        began = time.process_time()
+        patterns = packing.plan({n: count + n % 7 for n in range(1, 1025)}, 1024)
+        assert len(patterns) <= 2 * 1024
+        assert sum(p.count for p in patterns for _ in p.parts) == sum(count + n % 7 for n in range(1, 1025))
+        packing.layout(patterns, 1024)
+        assert time.process_time() - began < 5
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    encode = packing.encoder(queries.BYTE_BPE)
+    texts = ["", " ", "a  b\t\n c ", "x" * 9000, " " * 9000 + "y", "<|endoftext|>a<|endoftext|> b", "é🙂漢字\u200b\x00", "1234567 don't I'LL"]
+    for text, want in zip(texts, expected_ids(texts)):
+        assert [*encode(text).tolist(), 0] == want.tolist()
