@@ -1 +1 @@
-"""Source-code quality analytics expressed as Spark DataFrame plans."""
+"""Code-quality analytics on Spark."""
