@@ -1,14 +1,16 @@
 """Quality rules: distribution divergence from language references.
 
-Base rules (length, repeated 8-word windows) come first. What they leave is
-compared with its language: a histogram of character classes and one of common
-words, each against the same histogram summed over all documents of that
-language, by Jensen-Shannon divergence in bits. Texts too short for a histogram
-to mean anything are not judged by it.
-
-DataFrame expressions only. The references are five rows at most (the four
-languages with a word list, and all others pooled), so they return to the plan
-as literals and no text is shuffled.
+Base rules (length, repeated 8-word windows) come first. What they leave is compared with its language: a histogram of
+character classes and one of common words, each against the language's reference, by Jensen-Shannon distance (the root
+of the divergence in bits). Texts too short for a histogram to mean anything are not judged by it.
+
+A reference is the mean of its documents' histograms, each with the same weight whatever its length, over documents
+that pass the base rules; it is taken twice, the second time over those that the first one would keep, so that junk is
+not measured against itself.
+
+DataFrame expressions only. A text is read once: its counts are written to the shared folder, without the text unless
+it is to be returned, and both references and verdicts come from there. The references are six rows at most (the four
+languages with a word list, all others, and all together), so they return to the plan as literals.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import Scratch, words_of
 
 COMMON_WORDS = {
     "en": "the of and to a in is that for it was on".split(),
@@ -34,17 +36,18 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "bar", "punctuation", "
 
 @dataclass(frozen=True)
 class Limits:
-    """max_chars_js: divergence in bits beyond which a text is rejected; max_words_part: the same for words, as a part of
-    the divergence that a text without any common word has to its reference, so a reference summed over much junk
-    lowers the limit with it; min_*: guards below which the histogram isn't used."""
+    """max_chars_js: distance beyond which a text is rejected; max_words_part: the same for words, as a part of the
+    distance that a text without any common word has to its reference; min_chars, min_hist_words: guards below which a
+    histogram isn't used; min_documents: languages of fewer are judged by the characters of all, and not by words."""
 
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
     min_chars: int = 200
-    max_chars_js: float = 0.035
+    max_chars_js: float = 0.187
     min_hist_words: int = 50
-    max_words_part: float = 0.7
+    max_words_part: float = 0.837
+    min_documents: int = 20
 
 
 def _let(value: Column, body) -> Column:
@@ -56,45 +59,70 @@ def language() -> Column:
     return F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit(OTHER))
 
 
-def _with_histograms(docs: DataFrame) -> DataFrame:
-    """Adds _words, _chars (counts of CLASSES) and _common (counts of the language's common words, then of all other words)."""
+def features(docs: DataFrame, limits: Limits, carry: list[str]) -> DataFrame:
+    """doc (a struct of the columns to carry), language, n_chars, chars (counts of CLASSES), common (counts of the
+    language's common words, then of all other words), and the counts of the base rules."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumns({"_text": text, "_words": words_of(F.col("text")), "_lang": language()})
-    n = F.length("_text").cast("long")
+    d = docs.select(F.struct(*carry).alias("doc"), language().alias("language"), text.alias("text"), words_of(F.col("text")).alias("words"))
+    # one long match for each stretch of small letters and spaces: what is left is a small part of most texts
+    d = d.withColumns({"n_chars": F.length("text").cast("long"), "few": F.regexp_replace("text", "[a-z\\x20\\x09-\\x0D]+", ""), "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_words": F.size("words").cast("long")})
 
     def only(keep: str) -> Column:
-        # each match is the long stretch between two characters of the class, so a text has few
-        return F.length(F.regexp_replace("_text", f"[^{keep}]+", "")).cast("long")
-
-    upper, digit, symbol, punctuation, rest = (only(c) for c in ("A-Z", "0-9", "#*$%&<>", "!\"'()+,./:;=?@\\[\\\\\\]^_`{}~-", "\\x00-\\x08\\x0E-\\x1F\\x7F-\\x{10FFFF}"))
-    bar = (F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("|"), F.lit("")))).cast("long")
-    docs = docs.withColumn("_letters", F.length(F.array_join("_words", "")).cast("long"))
-    docs = docs.withColumn("_counted", F.array(upper, digit, n - F.col("_letters"), symbol, bar, punctuation, rest))
-    total = F.aggregate("_counted", F.lit(0).cast("long"), lambda a, b: a + b)
-    docs = docs.withColumn("_chars", F.concat(F.array(n - total), "_counted"))
-    # words twice separated, so that neighbours share no space when they are taken out
-    docs = docs.withColumns({"_joined": F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")), "_n": F.size("_words").cast("long")})
-    listed = F.coalesce(*(F.when(F.col("_lang") == k, F.array(*map(F.lit, v))) for k, v in COMMON_WORDS.items()), F.expr("cast(array() as array<string>)"))
+        return F.length(F.regexp_replace("few", f"[^{keep}]+", "")).cast("long")
+
+    upper, digit, symbol, punctuation = (only(c) for c in ("A-Z", "0-9", "#*$%&<>", "!\"'()+,./:;=?@\\[\\\\\\]^_`{}~-"))
+    bar = (F.length("few") - F.length(F.replace(F.col("few"), F.lit("|"), F.lit("")))).cast("long")
+    d = d.withColumn("part", F.array(upper, digit, symbol, bar, punctuation))
+    named = F.aggregate("part", F.lit(0).cast("long"), lambda a, b: a + b)
+    space = F.col("n_chars") - F.col("word_chars")
+    lower = F.col("n_chars") - F.length("few") - space
+    at = lambda i: F.get("part", F.lit(i))
+    chars = F.array(lower, at(0), at(1), space, at(2), at(3), at(4), F.length("few") - named)
+    # the language's common words, twice separated, so that neighbours share no space when they are taken out
+    listed = F.coalesce(*(F.when(F.col("language") == k, _among(v)) for k, v in COMMON_WORDS.items()), F.expr("cast(array() as array<string>)"))
+    d = d.withColumns({"chars": chars, "found": listed}).withColumn("joined", F.concat(F.lit(" "), F.array_join("found", "  "), F.lit(" ")))
+    words = F.coalesce(*(F.when(F.col("language") == k, F.array(*map(F.lit, v))) for k, v in COMMON_WORDS.items()), F.expr("cast(array() as array<string>)"))
 
     def times(word: Column) -> Column:
-        gone = F.octet_length("_joined") - F.octet_length(F.replace(F.col("_joined"), F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
+        gone = F.octet_length("joined") - F.octet_length(F.replace(F.col("joined"), F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
         return (gone / (F.octet_length(word) + 2)).cast("long")
 
-    docs = docs.withColumn("_found", F.transform(listed, times))
-    found = F.aggregate("_found", F.lit(0).cast("long"), lambda a, b: a + b)
-    return docs.withColumn("_common", F.concat("_found", F.array(F.col("_n") - found)))
+    common = F.concat(F.transform(words, times), F.array(F.col("n_words") - F.size("found")))
+    d = d.withColumns({"common": common, "n_symbols": at(2) + at(3), "n_dup_lines": repeated_lines(F.col("text")), "n_repeat_words": repeated_words(F.col("words"), limits.window)})
+    failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
+    return d.withColumn("base_failed", failed).select("doc", "language", "n_chars", "chars", "common", *BASE, "base_failed")
 
 
-def reference(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """For each language the summed histograms of all its documents: at most len(COMMON_WORDS) + 1 rows."""
-    wide = max(map(len, COMMON_WORDS.values())) + 1
-    sums = [F.sum(F.get("_chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(wide)]
-    rows = _with_histograms(docs).groupBy("_lang").agg(*sums).collect()
-    return {r["_lang"]: ([r[f"c{i}"] or 0 for i in range(len(CLASSES))], [r[f"w{i}"] or 0 for i in range(len(COMMON_WORDS.get(r["_lang"], [])) + 1)]) for r in rows}
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ALL = "*"
+
 
+def _among(listed: list[str]) -> Column:
+    return F.filter("words", lambda w: w.isin(*listed))
 
-def bare_divergence(common: list[int]) -> float | None:
+
+def reference(counts: DataFrame, limits: Limits) -> dict[str, tuple[list[float], list[float] | None]]:
+    """For each language, and for ALL, mean shares of CLASSES and of common words (None where it has no word list, or
+    too few documents). counts: features() of the documents to learn from. At most len(COMMON_WORDS) + 2 rows return."""
+    wide = max(map(len, COMMON_WORDS.values())) + 1
+    mean = lambda c, i, n, guard: F.avg(F.when(guard, F.get(c, F.lit(i)) / n))
+    long_, wordy = F.col("n_chars") >= limits.min_chars, F.col("n_words") >= limits.min_hist_words
+    means = [mean("chars", i, F.col("n_chars"), long_).alias(f"c{i}") for i in range(len(CLASSES))]
+    means += [mean("common", i, F.col("n_words"), wordy).alias(f"w{i}") for i in range(wide)]
+    rows = counts.rollup("language").agg(F.count_if(long_).alias("long"), F.count_if(wordy).alias("wordy"), *means).collect()
+    out = {}
+    for r in rows:
+        chars = [r[f"c{i}"] for i in range(len(CLASSES))]
+        if r["language"] is None:
+            if r["long"]:
+                out[ALL] = chars, None
+        elif r["long"] >= limits.min_documents:
+            words = [r[f"w{i}"] for i in range(len(COMMON_WORDS.get(r["language"], [])) + 1)]
+            out[r["language"]] = chars, words if r["language"] != OTHER and r["wordy"] >= limits.min_documents else None
+    return out
+
+
+def bare_divergence(common: list[float]) -> float | None:
     """The divergence in bits of a text without a common word to a reference of common words (the last: all others);
     None where the reference has no common word, as nothing then differs from it."""
     total, others = sum(common), common[-1]
@@ -132,7 +160,8 @@ def repeated_words(words: Column, window: int) -> Column:
         earlier = F.slice(hashes, F.lit(1), F.size(later))
         return F.zip_with(earlier, later, lambda a, b: F.xxhash64(a, b))
 
-    assert window & (window - 1) == 0, "windows are a power of two of words"
+    if window < 1 or window & (window - 1):
+        raise ValueError("windows are a power of two of words")
 
     def windows(hashes: Column, step: int = 1) -> Column:
         return hashes if step == window else _let(hashes, lambda h: windows(doubled(h, step), 2 * step))
@@ -157,41 +186,43 @@ def repeated_lines(text: Column) -> Column:
     return _let(kept, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def judge(docs: DataFrame, limits: Limits | None = None, references: dict | None = None) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars_js, words_js, base_failed, kept.
-
-    docs has text and lang; all its columns stay. Null text counts as empty and fails the base rules, as every text
-    of fewer than min_words words does; a null or unknown lang is judged by the characters of all such documents
-    and not by common words. A divergence is null where its guard holds. Equal rows get equal results, whatever
-    their number; an empty table gives an empty one. Columns that begin with an underscore are this function's own
-    while it runs; a column of the input that has such a name, or that of a result, is replaced.
-    """
-    limits = limits or Limits()
-    references = reference(docs) if references is None else references
-    own = [c for c in docs.columns]
-    d = _with_histograms(docs)
+def _verdicts(counts: DataFrame, references: dict, limits: Limits) -> DataFrame:
+    """Adds chars_js, words_js and kept to features()."""
 
     def known(part: int) -> Column:
-        rows = [F.when(F.col("_lang") == k, F.array(*(F.lit(float(x)) for x in v[part]))) for k, v in sorted(references.items())]
-        return F.coalesce(*rows) if rows else F.lit(None).cast("array<double>")
+        rows = [F.when(F.col("language") == k, F.array(*map(F.lit, v[part]))) for k, v in sorted(references.items()) if k != ALL and v[part]]
+        rest = [F.array(*map(F.lit, references[ALL][part]))] if ALL in references and references[ALL][part] else []
+        return F.coalesce(*rows, *rest) if rows or rest else F.lit(None).cast("array<double>")
 
     doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
-    words = F.col("_words")
-    d = d.withColumns(
+    d = counts.withColumns(
         {
-            "n_words": F.col("_n"),
-            "word_chars": F.col("_letters"),
-            "n_symbols": F.get("_chars", F.lit(CLASSES.index("symbol"))) + F.get("_chars", F.lit(CLASSES.index("bar"))),
-            "n_dup_lines": repeated_lines(F.col("_text")),
-            "n_repeat_words": repeated_words(words, limits.window),
-            "chars_js": F.when(F.length("_text") >= limits.min_chars, divergence(doubles(F.col("_chars")), known(0))),
-            "words_js": F.when((F.col("_n") >= limits.min_hist_words) & (F.col("_lang") != OTHER), divergence(doubles(F.col("_common")), known(1))),
+            "chars_js": F.when(F.col("n_chars") >= limits.min_chars, F.sqrt(divergence(doubles("chars"), known(0)))),
+            "words_js": F.when(F.col("n_words") >= limits.min_hist_words, F.sqrt(divergence(doubles("common"), known(1)))),
         }
     )
-    d = d.withColumn("base_failed", (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words")))
-    bare = {k: b for k, v in sorted(references.items()) if (b := bare_divergence(v[1])) is not None}
-    most_words = F.coalesce(*(F.when(F.col("_lang") == k, F.lit(limits.max_words_part * b)) for k, b in bare.items()), F.lit(None).cast("double"))
-    odd = (F.coalesce("chars_js", F.lit(0.0)) > limits.max_chars_js) | F.coalesce(F.col("words_js") > most_words, F.lit(False))
-    d = d.withColumn("kept", ~F.col("base_failed") & ~odd)
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars_js", "words_js", "base_failed", "kept"]
-    return d.select(*(c for c in own if c not in new and not c.startswith("_")), *new)
+    bare = {k: b for k, v in sorted(references.items()) if v[1] and (b := bare_divergence(v[1])) is not None}
+    most = F.coalesce(*(F.when(F.col("language") == k, F.lit(limits.max_words_part * math.sqrt(b))) for k, b in bare.items()), F.lit(None).cast("double"))
+    odd = F.coalesce(F.col("chars_js") > limits.max_chars_js, F.lit(False)) | F.coalesce(F.col("words_js") > most, F.lit(False))
+    return d.withColumn("kept", ~F.col("base_failed") & ~odd)
+
+
+def judge(docs: DataFrame, limits: Limits | None = None, references: dict | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars_js, words_js, base_failed, kept.
+
+    docs has text and lang; the columns in `carry` stay (all, if None), but one of a result's name is replaced. Null
+    text counts as empty and fails the base rules, as every text of fewer than min_words words does; a null or unknown
+    lang is judged by the characters of all such documents and not by common words. A distance is null where its guard
+    holds or there is no reference. Equal rows get equal results, whatever their number; an empty table gives an empty
+    one. Very long texts are counted whole. What returns reads a table in the shared folder.
+    """
+    limits, scratch = limits or Limits(), Scratch(docs.sparkSession)
+    new = [*BASE, "chars_js", "words_js", "base_failed", "kept"]
+    own = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    # a struct needs a field
+    counts = scratch.cut(features(docs, limits, own or ["lang"]), "quality")
+    if references is None:
+        passing = counts.where("not base_failed")
+        references = reference(passing, limits)
+        references = reference(_verdicts(passing, references, limits).where("kept"), limits)
+    return _verdicts(counts, references, limits).select(*(F.col("doc")[c].alias(c) for c in own), *new)

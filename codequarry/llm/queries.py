@@ -39,7 +39,7 @@ def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=["doc_id"])
 
 
 def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
