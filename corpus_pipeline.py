@@ -23,8 +23,8 @@ def _documents(docs: DataFrame, text: Column, like: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that quality.judge keeps, each as it is. Null and empty texts go; repeated rows stay or go together."""
-    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("doc"), "text", "lang"))
-    return judged.where("kept").select("doc.*")
+    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("whole"), "text", "lang"), carry=["whole"])
+    return judged.where("kept").select("whole.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
