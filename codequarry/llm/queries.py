@@ -15,7 +15,7 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10, 1024)
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, Scratch(spark), 10, 1024)
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,4 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op5_perspective_rotation": chat.SQL}
+ORACLES: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op5_perspective_rotation": chat.SQL}
