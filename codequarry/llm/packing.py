@@ -219,7 +219,7 @@ def pack(docs: DataFrame, path: str, scratch: Scratch, size: int = 1024, end: in
     base = sizes.select("rest", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"), F.coalesce(F.sum("full").over(before), F.lit(0)).alias("full0"))
     within = Window.partitionBy("rest", "bucket").orderBy("doc_id", "doc_tokens", "rest_ids")
     ranked = rows.withColumns({"rank": F.row_number().over(within) - 1, "full": F.sum(F.size("full_crcs")).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.size("full_crcs")})
-    ranked = ranked.join(base, ["rest", "bucket"]).withColumns({"rank": F.col("rank") + F.col("rank0"), "full": F.col("full") + F.col("full0")})
+    ranked = ranked.join(base.hint("merge"), ["rest", "bucket"]).withColumns({"rank": F.col("rank") + F.col("rank0"), "full": F.col("full") + F.col("full0")})
     ranked = ranked.select("doc_id", "doc_tokens", "full_crcs", "rest", "rest_ids", "rank", "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
