@@ -79,4 +79,4 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op5_perspective_rotation": chat.SQL}
+ORACLES: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op5_perspective_rotation": chat.SQL, "op10_url_filters": urls.sql()}
