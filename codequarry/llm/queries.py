@@ -26,7 +26,9 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, WORD_BPE, new_path(spark, "token-counts")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    # a folder named by spark.codequarry.tokenCounts keeps the cache from run to run
+    cache = spark.conf.get("spark.codequarry.tokenCounts", None) or new_path(spark, "token-counts")
+    return token_counts.count_tokens(docs, WORD_BPE, cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
+from .common import Scratch
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
 
@@ -69,20 +70,24 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 2048) -> D
     cache: folder of the count table; made if absent, appended to if not. It may serve many tokenizers, and counts
     that two jobs appended twice count once. Null text counts as empty, with no tokens. Columns of the input that
     bear a result's name are replaced; the others stay. Repeated rows stay repeated; an empty table gives an empty
-    one. A text that makes up a third of all rows is pre-aggregated before it is shuffled and encoded once.
+    one. Whole texts are counted, however long. A text that makes up a third of all rows is pre-aggregated before it is
+    shuffled, encoded once, and its rows may be split when counts return to them.
     """
     spark, tokenizer = docs.sparkSession, version(path)
-    kept = docs.drop("n_bytes", "n_tokens", "over_limit", "_content")
-    keyed = kept.withColumns({"_content": content_digest(F.col("text"), path), "n_bytes": F.octet_length(F.coalesce("text", F.lit(""))).cast("long")})
+    kept = docs.drop("n_bytes", "n_tokens", "over_limit")
+    own = [c for c in kept.columns if c != "text"]
+    keyed = kept.select(F.struct(*own, F.lit(0)).alias("doc"), "text", content_digest(F.col("text"), path).alias("content"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     known = _read(spark, cache, tokenizer)
-    wanted = keyed.select(F.col("_content").alias("content"), "text")
+    wanted = keyed.select("content", "text")
     if known is not None:
         wanted = wanted.join(known.select("content"), "content", "left_anti")
     misses = wanted.groupBy("content").agg(F.first("text").alias("text"))
     encode_misses(misses, path, tokenizer).write.mode("append").parquet(cache)
-    counts = _read(spark, cache, tokenizer).select(F.col("content").alias("_content"), "n_tokens")
-    out = keyed.drop("text").join(counts, "_content").drop("_content")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    # a written table, not an aggregate, on the small side of the join: only then can adaptive handling split the rows
+    # of one content
+    counts = Scratch(spark).cut(_read(spark, cache, tokenizer), "counts")
+    out = keyed.drop("text").join(counts.hint("merge"), "content")
+    return out.select(*(F.col("doc")[c].alias(c) for c in own), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _read(spark, cache: str, tokenizer: str) -> DataFrame | None:
