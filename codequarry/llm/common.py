@@ -71,7 +71,8 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; lost executors then cost a reread, not a rerun."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df, drops the shuffle files that made it, and returns a reader of the written table."""
@@ -85,14 +86,16 @@ class Scratch:
                 self.spark.conf.unset(_CLEANUP)
             else:
                 self.spark.conf.set(_CLEANUP, before)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def release(self, df: DataFrame | None = None) -> None:
-        """Deletes all tables cut so far (those still read by a lazy result must be kept by the caller)."""
-        for path in self.paths:
-            drop(self.spark, path)
-        self.paths = []
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def release(self, df: DataFrame) -> None:
+        """Deletes the table behind what cut() returned; nothing may read it any more."""
+        for held, path in self.held:
+            if held is df:
+                drop(self.spark, path)
+        self.held = [(held, path) for held, path in self.held if held is not df]
 
 
 def text_slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -169,7 +169,10 @@ def link_fingerprints(fps: DataFrame, radius: int, scratch: Scratch) -> DataFram
         # a hot bucket's rows are spread by adaptive skew handling here, and by their finer keys from here on
         keys = keys.join(hot, ["t", "key"], "left_anti").union(_split(keys.join(hot, ["t", "key"]), radius))
     edges = scratch.cut(_links(keys, radius).distinct(), "edges")
-    return components(edges, scratch)
+    scratch.release(hot)
+    roots = components(edges, scratch)
+    scratch.release(edges)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -177,12 +180,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, radius: int = 4, shingle:
 
     Null and empty texts have fingerprint 0 and are linked like any other. A null doc_id is never a component's id
     unless all its members' are null. Repeated rows give repeated rows; ties don't arise, as ids are compared as
-    they are. An empty table gives an empty one; other columns are left out. What returns reads tables of `scratch`.
+    they are. An empty table gives an empty one; other columns are left out. Very long texts are read whole, one at a
+    time; their hashes take eight bytes a word. What returns reads tables of `scratch`.
     """
     found = scratch.cut(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
     fps = scratch.cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
     roots = link_fingerprints(fps.select("fp"), radius, scratch)
     linked = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = linked.join(least, "root").select("fp", "component_id")
-    return found.join(ids, "fp").select("doc_id", "fp", "component_id")
+    # written tables, not aggregates, on the small side of each join: only then can adaptive handling split a fingerprint
+    # or a component that holds a third of all rows
+    least = scratch.cut(linked.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    ids = scratch.cut(linked.join(least.hint("merge"), "root").select("fp", "component_id"), "component-ids")
+    return found.join(ids.hint("merge"), "fp").select("doc_id", "fp", "component_id")
