@@ -10,16 +10,19 @@ boundaries and symbols in their interior, and at least one.
 
 Each window is represented by the interior boundary of least key (its symbols and
 the words within reach). Windows whose key occurs once in the corpus are unique.
-The rest are verified by 128-bit names of their whole word sequences, and the
-first in order of document and place is kept.
+The rest are verified by a cryptographic digest of their words, and the first in
+order of document and place is kept. Names only find candidates: two words of one
+name cost a comparison, never a wrong result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,8 @@ from .common import Scratch, text_slices
 
 #: Rows that a task gathers before it resolves what repeats among them and passes on the rest.
 FLUSH = 2_000_000
+#: Bytes of text at a time: word names take some fifty times as much. Longer texts are read in pieces that overlap by a window.
+PIECE = 1_000_000
 REACH, GAP = 4, 4
 _NONE = -(2**63)
 _U = np.uint64
@@ -153,6 +158,48 @@ def anchors(names: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.ndar
     return key[chosen[at]], where, low - begins[where], high - begins[where]
 
 
+def pieces(text: bytes, window: int, most: int) -> Iterator[tuple[int, bytes]]:
+    """(number of words before, piece) of a text: each window of words lies whole in one piece, and in one only."""
+    before, at = 0, 0
+    while len(text) - at > most:
+        words = text[at : at + most].split()
+        if not text[at + most : at + most + 1].isspace() and not text[at + most - 1 : at + most].isspace():
+            words = words[:-1]  # cut short
+        step = len(words) - window + 1
+        if step <= 0:  # words of such length are read in one piece
+            most *= 2
+            continue
+        yield before, b" ".join(words)
+        rest = text[at : at + most].split(None, step)
+        at += most - len(rest[step]) if len(rest) > step else most
+        before += step
+    yield before, text[at:]
+
+
+def _in_pieces(batch: pa.RecordBatch, window: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(texts, row of each, words before each): the batch's texts, those beyond PIECE by pieces."""
+    at = 0
+    for part in text_slices(batch, "text", PIECE):
+        texts = part.column("text")
+        if part.num_rows == 1 and texts[0].is_valid and len(raw := texts[0].as_buffer()) > PIECE:
+            for before, piece in pieces(raw.to_pybytes(), window, PIECE):
+                yield pa.array([piece]).cast(pa.large_string()), np.array([at]), np.array([before])
+        else:
+            yield texts, np.arange(at, at + part.num_rows), np.zeros(part.num_rows, np.int64)
+        at += part.num_rows
+
+
+def digests(text: bytes, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of BLAKE2 of the words of each window (at: its first word), as a long and an int."""
+    words = text.split()
+    joined = b" ".join(words)
+    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    make = hashlib.blake2b
+    out = b"".join([make(joined[a:b], digest_size=12).digest() for a, b in zip(starts[at].tolist(), (starts[at + window] - 1).tolist())])
+    both = np.frombuffer(out, [("long", "<i8"), ("int", "<i4")])
+    return both["long"].copy(), both["int"].copy()
+
+
 def _with_ids(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """Adds the columns that identify a document: its id (null: the least long) and, only where ids repeat, the
     hash of its text, so that rows that are equal are one document and others under one id are not."""
@@ -184,9 +231,10 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(cols, ["key", "_did", "_alt", "lo", "hi", "known"])
 
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                key, where, lo, hi = anchors(*word_names(part.column("text")), window)
-                held.append((key, _long(part, "_did")[where], _long(part, "_alt")[where], lo, hi))
+            dids, alts = _long(batch, "_did"), _long(batch, "_alt")
+            for texts, of, before in _in_pieces(batch, window):
+                key, where, lo, hi = anchors(*word_names(texts), window)
+                held.append((key, dids[of[where]], alts[of[where]], lo + before[where], hi + before[where]))
                 rows += len(key)
                 if rows >= FLUSH:
                     yield out()
@@ -206,8 +254,10 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             h1, h2, did, alt, pos = (np.concatenate(x) for x in zip(*held))
-            _, rank = np.unique(np.stack([did, alt], axis=1), axis=0, return_inverse=True)
-            code = (rank.reshape(-1).astype(np.int64) << 32) + pos
+            order = np.lexsort((alt, did))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.concatenate([[0], ((did[order[1:]] != did[order[:-1]]) | (alt[order[1:]] != alt[order[:-1]])).cumsum()])
+            code = (rank << 32) + pos
             order = np.lexsort((code, h1))
             h1, h2, did, alt, pos, code = (x[order] for x in (h1, h2, did, alt, pos, code))
             fresh = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
@@ -222,8 +272,8 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
             low, high = again[first], again[ends]
             spread = mix(did[low].view(np.uint64) * _ODD[1] + alt[low].view(np.uint64) + pos[low].view(np.uint64) * _ODD[2])
             cols = (
-                np.concatenate([h1[single], spread]).view(np.int64),
-                np.concatenate([h2[single], np.zeros(len(low), np.uint64)]).view(np.int64),
+                np.concatenate([h1[single], spread.view(np.int64)]),
+                np.concatenate([h2[single], np.zeros(len(low), np.int32)]),
                 np.concatenate([did[single], did[low]]),
                 np.concatenate([alt[single], alt[low]]),
                 np.concatenate([pos[single], pos[low]]).astype(np.int32),
@@ -233,29 +283,32 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h1", "h2", "_did", "_alt", "lo", "hi", "known"])
 
         for batch in batches:
-            for part in text_slices(batch, "text"):
-                names, begins = word_names(part.column("text"))
-                if len(names) < window:
-                    continue
-                marks = np.zeros(len(names) + 1, np.int64)
-                ranges = part.column("ranges")
-                of = np.repeat(np.arange(part.num_rows), np.diff(ranges.offsets.to_numpy()))
-                flat = ranges.flatten()
-                # ranges of other documents under the same id don't occur; a range always lies within its text
-                np.add.at(marks, begins[of] + flat.field(0).to_numpy(), 1)
-                np.add.at(marks, begins[of] + flat.field(1).to_numpy() + 1, -1)
-                at = np.flatnonzero(np.cumsum(marks)[: len(names) - window + 1] > 0)
-                doc = np.searchsorted(begins, at, "right") - 1
-                h = [sequence_names(names, window, salt)[at] for salt in (0, 1)]
-                held.append((*h, _long(part, "_did")[doc], _long(part, "_alt")[doc], at - begins[doc]))
-                rows += len(at)
-                if rows >= FLUSH:
-                    yield out()
-                    held, rows = [], 0
+            dids, alts, ranges = _long(batch, "_did"), _long(batch, "_alt"), batch.column("ranges")
+            ends = np.concatenate([[0], pc.list_value_length(ranges).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()])
+            low, high = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in ranges.flatten().flatten())
+            for texts, of, before in _in_pieces(batch, window):
+                for text, row, first in zip(texts, of.tolist(), before.tolist()):
+                    if not text.is_valid:
+                        continue
+                    raw = text.as_buffer().to_pybytes()
+                    n = len(raw.split()) - window + 1
+                    marks = np.zeros(max(n, 0) + 1, np.int64)
+                    lo, hi = (x[ends[row] : ends[row + 1]] - first for x in (low, high))
+                    inside = (hi >= 0) & (lo < n)
+                    np.add.at(marks, np.maximum(lo[inside], 0), 1)
+                    np.add.at(marks, np.minimum(hi[inside], n - 1) + 1, -1)
+                    at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+                    if not len(at):
+                        continue
+                    held.append((*digests(raw, at, window), np.full(len(at), dids[row]), np.full(len(at), alts[row]), at + first))
+                    rows += len(at)
+                    if rows >= FLUSH:
+                        yield out()
+                        held, rows = [], 0
         if rows:
             yield out()
 
-    return docs.select("_did", "_alt", "text", "ranges").mapInArrow(run, "h1 long, h2 long, _did long, _alt long, lo int, hi int, known boolean")
+    return docs.select("_did", "_alt", "text", "ranges").mapInArrow(run, "h1 long, h2 int, _did long, _alt long, lo int, hi int, known boolean")
 
 
 def repeated_windows(docs: DataFrame, ids: list[str], window: int, scratch: Scratch) -> DataFrame:
@@ -263,10 +316,12 @@ def repeated_windows(docs: DataFrame, ids: list[str], window: int, scratch: Scra
     by_doc = lambda df: df.groupBy(*ids).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))  # noqa: E731 - within one document
     rows = _anchor_rows(docs, window).withColumn("n", F.count("*").over(Window.partitionBy("key")))
     candidates = scratch.cut(by_doc(rows.where("known or n > 1")), "candidates")
-    places = _window_rows(docs.join(candidates.hint("shuffle_hash"), ids), window)
+    places = _window_rows(docs.join(candidates, ids), window)
     rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("_did", "_alt", "lo"))
     repeats = places.withColumn("rank", rank).where("known or rank > 1")
-    return scratch.cut(by_doc(repeats), "repeats")
+    found = scratch.cut(by_doc(repeats), "repeats")
+    scratch.release(candidates)
+    return found
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20) -> DataFrame:
@@ -276,7 +331,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20) -> DataF
     starts earlier: in a document of smaller doc_id, or earlier in the same one. All windows are judged on the input.
     Null and empty texts have no words and keep nothing of none; texts shorter than a window keep all. A null doc_id
     comes before all others. Rows equal in doc_id and text are one document and get one result each; rows that share
-    only the doc_id are ordered by a hash of their text. Columns of the input stay, except those that have a result's
+    only the doc_id are ordered by a hash of their text. Very long texts are searched in pieces that overlap. Columns of the input stay, except those that have a result's
     name, which are replaced, and names that begin with an underscore, which are dropped. An empty table gives an
     empty one. What returns reads tables of `scratch`.
     """
@@ -287,14 +342,14 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20) -> DataF
     names = docs.columns
     tagged, ids = _with_ids(docs)
     found = repeated_windows(tagged.select("_did", "_alt", "text"), ids, window, scratch)
-    joined = tagged.join(found.hint("shuffle_hash"), ids, "left").drop(*ids)
+    joined = tagged.join(found.withColumnRenamed("ranges", "_ranges"), ids, "left").drop(*ids)
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 n_words, n_removed, kept = [], [], []
-                for text, ranges in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist()):
+                for text, ranges in zip(part.column("text").to_pylist(), part.column("_ranges").to_pylist()):
                     words = (text or "").encode().split()
                     n = len(words)
                     if ranges:
@@ -310,4 +365,4 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20) -> DataF
                 cols = [*(part.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_removed", "kept"])
 
-    return joined.select(*names, "ranges").mapInArrow(run, schema)
+    return joined.select(*names, "_ranges").mapInArrow(run, schema)
