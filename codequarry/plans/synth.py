@@ -38,7 +38,10 @@ def _deep(n: Column, what: str, last: Column) -> Column:
 
 
 def _files(df: DataFrame, rel: Column, content: Column) -> DataFrame:
-    return df.select(rel.alias("rel"), content.alias("content"))
+    """Rows as files. Keys are spread over all cores before there is text: a small table is one task's scan, and parsing
+    takes far longer than reading it."""
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return spread.select(rel.alias("rel"), content.alias("content"))
 
 
 def _kept(files: DataFrame) -> DataFrame:
