@@ -81,4 +81,9 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op5_perspective_rotation": chat.SQL, "op10_url_filters": urls.sql()}
+ORACLES: dict[str, str] = {
+    "op1_exact_top_k": topk.SQL,
+    "op5_perspective_rotation": chat.SQL,
+    "op8_substring_dedup": substrings.SQL,
+    "op10_url_filters": urls.sql(),
+}

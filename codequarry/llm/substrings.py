@@ -366,3 +366,24 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = 20) -> DataF
                 yield pa.RecordBatch.from_arrays(cols, [*names, "n_words", "n_removed", "kept"])
 
     return joined.select(*names, "_ranges").mapInArrow(run, schema)
+
+
+#: remove_repeats with windows of 20 words over the table `documents`, as the registered query returns it, for DuckDB.
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), x AS (
+  SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 19), ' ') AS same FROM w, unnest(range(1, len(words) - 18)) AS t(pos)
+), r AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY same ORDER BY doc_id, pos) AS nth FROM x) WHERE nth > 1
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM r
+), v AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w
+), k AS (
+  SELECT v.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY v.pos) FILTER (g.pos IS NULL) AS kept
+  FROM v LEFT JOIN g ON v.doc_id = g.doc_id AND v.pos = g.pos GROUP BY v.doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
