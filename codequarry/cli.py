@@ -21,7 +21,7 @@ from .sources import files, reports
 
 WHOLE_ONLY = ("unused-code", "unused-files")
 #: Commands that say so and end when nothing is selected; the others print a summary of nothing.
-NEEDS_FILES = ("nesting", "class-size", "weight-of-class", "banned-imports", "magic-constants", "file-naming")
+NEEDS_FILES = frozenset("file-naming magic-constants banned-imports weight-of-class class-size nesting".split())
 
 
 class _Parser(argparse.ArgumentParser):
@@ -29,13 +29,17 @@ class _Parser(argparse.ArgumentParser):
 
     def error(self, message: str):
         self.print_usage(sys.stderr)
-        self.exit(1, f"{self.prog}: error: {message}\n")
+        self.exit(1, f"{self.prog}: {message}\n")
+
+
+#: Options that may be repeated.
+_MANY = {"action": "append", "default": []}
 
 
 def parser(command: str | None) -> argparse.ArgumentParser:
     p = _Parser(prog=f"codequarry {command}" if command else "codequarry", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     if command == "folder-structure":
-        p.add_argument("--dir", dest="dirs", action="append", default=[], help="folder to check, relative to the root; may be repeated (default: package roots)")
+        p.add_argument("--dir", **_MANY, dest="dirs", help="folder to check, relative to the root; may be repeated (default: package roots)")
         p.add_argument("--max", type=int, default=0, help="loose files that a folder may hold")
         return p
     p.add_argument("paths", nargs="*", help="files or folders (default: the whole tree)")
@@ -44,9 +48,9 @@ def parser(command: str | None) -> argparse.ArgumentParser:
         p.add_argument("--coverage", default="coverage.json")
         p.add_argument("--threshold", type=float, default=scoring.THRESHOLD)
     elif command == "banned-imports":
-        p.add_argument("--from", dest="sources", action="append", default=[], metavar="GLOB")
-        p.add_argument("--forbid", action="append", default=[], metavar="GLOB")
-        p.add_argument("--message", action="append", default=[])
+        p.add_argument("--from", **_MANY, dest="sources", metavar="GLOB")
+        p.add_argument("--forbid", **_MANY, metavar="GLOB")
+        p.add_argument("--message", **_MANY)
     elif command == "test-assertions":
         p.add_argument("--min", type=int, default=rules.MIN_ASSERTIONS)
     elif command == "profile":

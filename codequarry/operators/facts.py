@@ -28,11 +28,11 @@ SCHEMA = f"""rel string, parse_error string,
     literals array<struct<ord:int,line:int,key:string,hex:boolean>>, const_spans array<struct<start:int,end:int>>,
     tests array<struct<ord:int,label:string,line:int,signals:array<struct<kind:string,root:string,attr:string>>>>"""
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_KINDS = {ast.If: "if", ast.For: "for", ast.AsyncFor: "for", ast.While: "while", ast.ExceptHandler: "except", ast.IfExp: "ternary", ast.match_case: "case"}
-_COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
-_BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.TryStar)
-_CONSTANT = re.compile("_?[A-Z][A-Z0-9_]*")
-_COLOR = re.compile("0[xX][0-9a-fA-F]{6,8}")
+_KINDS = {getattr(ast, k): v for k, v in {"If": "if", "IfExp": "ternary", "While": "while", "For": "for", "AsyncFor": "for", "ExceptHandler": "except", "match_case": "case"}.items()}
+_COMPREHENSIONS = tuple(getattr(ast, k) for k in "GeneratorExp ListComp DictComp SetComp".split())
+_BLOCKS = tuple(getattr(ast, k) for k in "Try TryStar With AsyncWith While For AsyncFor If".split())
+_CONSTANT = re.compile("_?[A-Z][_0-9A-Z]*")
+_COLOR = re.compile("0[Xx][a-fA-F0-9]{6,8}")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def import_rules(from_globs: Sequence[str], forbid_globs: Sequence[str], message
     """Rules by position: as many from as forbid; messages go to the first ones."""
     if len(from_globs) != len(forbid_globs):
         raise ValueError("as many --from as --forbid are needed")
-    return [ImportRule(a, b, messages[i] if i < len(messages) else None) for i, (a, b) in enumerate(zip(from_globs, forbid_globs))]
+    return [ImportRule(*globs, message) for globs, message in zip_longest(zip(from_globs, forbid_globs), messages[: len(from_globs)])]
 
 
 def _summary(rows: DataFrame, violations: Column, checked: Column) -> DataFrame:

@@ -17,7 +17,8 @@ from .operators import scoring, timings
 
 def scores(found: DataFrame, threshold: float = scoring.THRESHOLD, metric: str = "Risk") -> str:
     """All scores, ranked, and the verdict."""
-    head = f"{'Method':<30} {'File':<35} {'CC':>4} {'Cov%':>7} {metric.upper():>8}"
+    row = "{:<30} {:<35} {:>4} {:>7} {:>8}".format
+    head = row("Method", "File", "CC", "Cov%", metric.upper())
     title = f"{metric} Report"
     lines = [title, "=" * len(title), head, "-" * len(head)]
     most = 0.0
@@ -25,7 +26,7 @@ def scores(found: DataFrame, threshold: float = scoring.THRESHOLD, metric: str =
         share = "N/A" if r["coverage"] is None else f"{100 * r['coverage']:.1f}%"
         value = "N/A" if r["score"] is None else f"{r['score']:.1f}"
         most = max(most, r["score"] or 0.0)
-        lines.append(f"{r['method_name']:<30} {r['file']:<35} {r['complexity']:>4} {share:>7} {value:>8}")
+        lines.append(row(r["method_name"], r["file"], r["complexity"], share, value))
     return "\n".join([*lines, "", f"Max {metric}: {most:.1f} (threshold {threshold:.1f}) \u2014 " + ("FAILED" if most > threshold else "passed")])
 
 
@@ -44,9 +45,11 @@ def profile(entries: DataFrame, top: int | None = timings.TOP, millis: float | N
     rows = timings.top(timings.with_share(entries), top).collect() if top is not None else list(timings.top(timings.with_share(entries), None).toLocalIterator())
     whole = entries.selectExpr("count(*) as n", "coalesce(sum(total), 0.0) as total").first()
     lines = [f"Profile Report ({whole['n']} methods, total {whole['total'] / 1000:.2f}ms)"]
-    lines.append(f"{'TOTAL(ms)':>9} {'%':>7} {'CALLS':>6} {'MEAN(\u00b5s)':>9} {'MAX(\u00b5s)':>8} {'@60fps(ms)':>10}  {'METHOD':<24} FILE:LINE")
+    row = "{:>9} {:>7} {:>6} {:>9} {:>8} {:>10}  {:<24} {}".format
+    lines.append(row("TOTAL(ms)", "%", "CALLS", "MEAN(\u00b5s)", "MAX(\u00b5s)", "@60fps(ms)", "METHOD", "FILE:LINE"))
     for r in rows:
-        lines.append(f"{r['total'] / 1000:>9.2f} {r['share']:>6.1f}% {r['calls']:>6} {mean_text(r['mean']):>9} {int(r['most'] or 0):>8} {r['mean'] * 60 / 1000:>10.2f}  {r['key']:<24} {r['file']}:{r['line']}")
+        ms, frame = f"{r['total'] / 1000:.2f}", f"{r['mean'] * 60 / 1000:.2f}"
+        lines.append(row(ms, f"{r['share']:.1f}%", r["calls"], mean_text(r["mean"]), int(r["most"] or 0), frame, r["key"], f"{r['file']}:{r['line']}"))
     if millis is not None:
         lines += ["", threshold_text(timings.over(entries, millis).first()["exceeding"], millis)]
     return "\n".join(lines)

@@ -79,7 +79,7 @@ def selected(spark: SparkSession, root: str, args: Iterable[str], tests: bool =
 
 def changed_files(spark: SparkSession, root: str) -> DataFrame:
     """Paths of existing *.py files that git says have changed. Raises RuntimeError where git fails."""
-    git = subprocess.run(["git", "-C", root, "status", "--porcelain"], capture_output=True, text=True, check=False)
+    git = subprocess.run(("git", "status", "--porcelain"), cwd=root, encoding="utf-8", stdout=subprocess.PIPE, stderr=subprocess.PIPE)
     if git.returncode:
         raise RuntimeError(f"git status failed: {git.stderr.strip()}")
     lines = spark.createDataFrame([(x,) for x in git.stdout.splitlines()], "line string")
