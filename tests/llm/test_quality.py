@@ -1,9 +1,11 @@
 """op6: texts without common words and link lists are rejected, clean ones stay, whatever the reference."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
-from codequarry.llm import quality
+from codequarry.llm import quality, queries
 
 NOUNS = "house river garden window market teacher village morning letter bridge summer forest paper table station picture winter number doctor kitchen".split()
 
@@ -52,3 +54,42 @@ def test_bare_divergence_is_that_of_a_text_without_common_words(spark):
     js = spark.range(1).select(quality.divergence(F.expr("array(0d, 0d, 0d, 100d)"), F.array(*(F.lit(float(x)) for x in ref)))).first()[0]
     assert abs(js - quality.bare_divergence(ref)) < 1e-12
     assert quality.bare_divergence([0, 0, 5]) is None
+
+
+def base_columns(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, by the letter of the contract."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    often, covered, seen, again = Counter(windows), set(), set(), 0
+    for i, w in enumerate(windows):
+        if often[w] > 1:
+            covered.update(range(i, i + 8))
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered), failed
+
+
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_base_columns_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = queries.op6_quality_rules(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert tuple(r[c] for c in COLUMNS) == base_columns(texts[r["doc_id"]]), r["doc_id"]
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_base_columns_on_edges(spark):
+    texts = [None, "", " \t\n", "a", "a b c d e f g h", "a b c d e f g h a b c d e f g h", "x " * 30, "l\nl\n\n \n \nl \nl", "é🙂 # * $ % & | < > \x1c y", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w1 w2 w3 w4 w5 w6 w7 w8", "\r\na\r\na", "z" * 100_000]
+    df = spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(texts)], "doc_id int, text string, lang string, kept int")
+    got = quality.judge(df).orderBy("doc_id").collect()
+    assert [tuple(r[c] for c in COLUMNS) for r in got] == [base_columns(t) for t in texts]
+    assert quality.judge(df.where("false")).collect() == []
+    assert quality.judge(df).columns[:3] == ["doc_id", "text", "lang"]
