@@ -173,8 +173,7 @@ def banned_imports(facts: DataFrame, inventory: DataFrame, rules: Sequence[Impor
 
 def free_literals(facts: DataFrame) -> DataFrame:
     """(file, ord, line, key, hex) of literals on lines that no constant's value spans."""
-    outside = F.filter("literals", lambda x: ~F.exists("const_spans", lambda s: x["line"].between(s["start"], s["end"])))
-    rows = _parsed(facts).select(F.col("rel").alias("file"), F.explode(outside).alias("x"))
+    rows = _parsed(facts).select(F.col("rel").alias("file"), F.explode(F.filter("literals", lambda x: x["free"])).alias("x"))
     return rows.select("file", "x.ord", "x.line", "x.key", "x.hex")
 
 
@@ -191,8 +190,9 @@ def magic_constants(facts: DataFrame) -> Outcome:
     again = repeats(free.where(F.length("key") >= MIN_LENGTH))
     text = F.concat(F.lit("literal "), "key", F.lit(" repeats "), "n", F.lit(" times \u2014 extract a named constant"))
     found = colors.union(again.select("file", "key", "ord", "line", text))
-    both = _parsed(facts).select(F.lit(0).alias("v"), F.lit(1).alias("c")).union(found.select(F.lit(1), F.lit(0)))
-    return Outcome(found, _summary(both, F.sum("v"), F.sum("c")))
+    many = F.filter("literals", lambda x: x["free"] & (x["n"] >= MIN_REPEATS) & (F.length(x["key"]) >= MIN_LENGTH))
+    size = F.size(F.filter("literals", lambda x: x["free"] & x["hex"])) + F.size(many)
+    return Outcome(found, _summary(_parsed(facts), F.sum(size), F.count("*")))
 
 
 def assertion_counts(facts: DataFrame) -> DataFrame:

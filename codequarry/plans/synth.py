@@ -236,7 +236,7 @@ def _constants(spark: SparkSession, sf_dir: str) -> rules.Outcome:
         "y = d['field'], d['field'], d['field']\n",
         "class K:\n    LIST = ['inner', 'inner',\n        'inner']\n    seen = ['abc', 'abc', 'abc', True, None]\n",
     )
-    return rules.magic_constants(_kept(_files(table(spark, sf_dir, "part"), _rel("p_partkey"), source)))
+    return rules.magic_constants(facts.facts(_files(table(spark, sf_dir, "part"), _rel("p_partkey"), source), only=("literals",)))
 
 
 def magic_constants_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

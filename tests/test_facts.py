@@ -3,6 +3,7 @@
 import ast
 import textwrap
 
+import pyarrow as pa
 import pytest
 from codequarry.functions import scores as S
 from codequarry.operators import facts, rules, scoring
@@ -143,6 +144,35 @@ def test_parsed_once_when_kept(spark):
     kept.unpersist()
 
 
+def test_free_literals_are_counted_by_key():
+    source = "A = ['word',\n 'word']\nx = ['word', 'word', 1000]\ndef f():\n  B = 'word'; return 1000, d['word']\n"
+    got = facts.extract(source)["literals"]
+    assert sorted((x["line"], x["key"], x["free"], x["n"]) for x in got) == [(1, "word", False, 0), (2, "word", False, 0), (3, "1000", True, 2), (3, "word", True, 3), (3, "word", True, 3), (5, "1000", True, 2), (5, "word", True, 3)]
+
+
+def test_lone_surrogates_are_keys_of_their_own():
+    got = facts.extract("x = ['\\ud800abc', '\\ud801abc', '\\ud801abc']\n")["literals"]
+    assert [(x["key"], x["n"]) for x in got] == [("?abc", 1), ("?abc", 2), ("?abc", 2)]
+
+
+def test_only_what_is_asked_for_is_gathered(spark, monkeypatch):
+    whole, files = facts.extract("X = 1000\ny = X\n"), spark.createDataFrame([("a.py", "X = 1000\ny = X\n"), ("b.py", "(")], "rel string, content string")
+    got = facts.facts(files, only=["refs", "literals"])
+    assert got.columns == ["rel", "parse_error", "refs", "literals"]
+    a, b = got.orderBy("rel").collect()
+    assert (a["refs"], [x.asDict() for x in a["literals"]]) == (whole["refs"], whole["literals"]) and b["parse_error"] and b["literals"] is None
+    monkeypatch.setattr(facts, "_functions", lambda tree: 1 / 0)
+    assert facts.extract("X = 1000\n", ["literals"])["literals"] == facts.extract("X = 1000\n", ["const_spans"])["literals"]
+    with pytest.raises(ValueError):
+        facts.facts(files, only=["litterals"])
+
+
+def test_columns_are_what_arrow_makes_of_dicts():
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.list_(pa.struct([("c", pa.string()), ("d", pa.bool_())])))]))
+    for rows in ([], [None], [[], None, [{"a": 1, "b": []}, {"a": None, "b": None}], [{"a": 2, "b": [{"c": "x", "d": True}, {"c": None, "d": None}]}], None, []]):
+        assert facts._column(rows, kind).equals(pa.array(rows, kind))
+
+
 def test_nulls_and_empty_table(spark):
     schema = "rel string, content string, parse_error int"
     got = facts.facts(spark.createDataFrame([("a.py", None, 1), ("b.py", "", 1), ("b.py", "", 1)], schema))

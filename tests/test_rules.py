@@ -93,6 +93,20 @@ def test_magic_constants(of):
     assert out.summary.first()[:] == (5, 2, 2)
 
 
+def test_summary_of_literals_parses_once_unkept(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    files = spark.createDataFrame([(f"m{i}.py", "x = 0xAABBCC, 'word', 'word', 'word'\n") for i in range(40)], "rel string, content string")
+    out = rules.magic_constants(facts.facts(files.mapInArrow(counting, files.schema), only=["literals"]))
+    assert out.summary.first()[:] == (160, 40, 2)
+    assert calls.value == 40
+
+
 def test_assertions(of):
     out = rules.test_assertions(of({"tests/test_a.py": "def test_a(): pass\ndef test_b(): assert 1\nclass T:\n  def test_c(self): self.check()\n"}))
     assert rows(out.violations, "label", "assertions") == [("T.test_c", 0), ("test_a", 0)]
