@@ -2,7 +2,7 @@
 
 Each rule gives what it found (file, line, message and the figures behind it) and a summary of one row: violations,
 checked, status (2 if there are violations, else 0). What counts as checked differs: functions, classes, test bodies,
-parsed files, or files. Rules but the two on imports and the one on literals work within a file's row.
+parsed files, or files. Rules but the two on imports and the one on folders work within a file's row.
 """
 
 from __future__ import annotations
@@ -171,12 +171,6 @@ def banned_imports(facts: DataFrame, inventory: DataFrame, rules: Sequence[Impor
     return Outcome(found, _summary(both, F.sum("v"), F.sum("c")))
 
 
-def free_literals(facts: DataFrame) -> DataFrame:
-    """(file, ord, line, key, hex) of literals on lines that no constant's value spans."""
-    rows = _parsed(facts).select(F.col("rel").alias("file"), F.explode(F.filter("literals", lambda x: x["free"])).alias("x"))
-    return rows.select("file", "x.ord", "x.line", "x.key", "x.hex")
-
-
 def repeats(literals: DataFrame) -> DataFrame:
     """Adds n, how often a file holds a key. Keys are spread over tasks by file and key."""
     counts = literals.groupBy("file", "key").agg(F.count("*").alias("n"))
@@ -185,14 +179,17 @@ def repeats(literals: DataFrame) -> DataFrame:
 
 def magic_constants(facts: DataFrame) -> Outcome:
     """Hex colors, and literals of MIN_LENGTH characters that repeat MIN_REPEATS times, outside constants; checks parsed files."""
-    free = free_literals(facts)
-    colors = free.where("hex").select("file", F.lit("").alias("key"), "ord", "line", F.lit("hex color outside a constant declaration").alias("message"))
-    again = repeats(free.where(F.length("key") >= MIN_LENGTH))
-    text = F.concat(F.lit("literal "), "key", F.lit(" repeats "), "n", F.lit(" times \u2014 extract a named constant"))
-    found = colors.union(again.select("file", "key", "ord", "line", text))
-    many = F.filter("literals", lambda x: x["free"] & (x["n"] >= MIN_REPEATS) & (F.length(x["key"]) >= MIN_LENGTH))
-    size = F.size(F.filter("literals", lambda x: x["free"] & x["hex"])) + F.size(many)
-    return Outcome(found, _summary(_parsed(facts), F.sum(size), F.count("*")))
+    colors = F.filter("literals", lambda x: x["free"] & x["hex"])
+    again = F.filter("literals", lambda x: x["free"] & (x["n"] >= MIN_REPEATS) & (F.length(x["key"]) >= MIN_LENGTH))
+    finding = lambda x, key, text: F.struct(key.alias("key"), x["ord"].alias("ord"), x["line"].alias("line"), text.alias("message"))
+    text = lambda x: F.concat(F.lit("literal "), x["key"], F.lit(" repeats "), x["n"], F.lit(" times \u2014 extract a named constant"))
+    found = F.concat(
+        F.transform(colors, lambda x: finding(x, F.lit(""), F.lit("hex color outside a constant declaration"))),
+        F.transform(again, lambda x: finding(x, x["key"], text(x))),
+    )
+    rows = _parsed(facts)
+    violations = rows.select(F.col("rel").alias("file"), F.explode(found).alias("v")).select("file", "v.*")
+    return Outcome(violations, _summary(rows, F.sum(F.size(colors) + F.size(again)), F.count("*")))
 
 
 def assertion_counts(facts: DataFrame) -> DataFrame:

@@ -107,6 +107,18 @@ def test_summary_of_literals_parses_once_unkept(spark):
     assert calls.value == 40
 
 
+def test_literals_are_judged_within_a_files_row(spark):
+    # rows of one path are files of their own
+    files = [("a.py", "x = 'word', 'word'\n"), ("a.py", "x = 'word', 'word', 'word', 0xAABBCC, 0xAABBCC, 0xAABBCC\n"), ("bad.py", "(")]
+    out = rules.magic_constants(facts.facts(spark.createDataFrame(files, "rel string, content string"), only=["literals"]))
+    color, text = "hex color outside a constant declaration", "literal {} repeats 3 times \u2014 extract a named constant"
+    want = [*(("", n, color) for n in (3, 4, 5)), *(("0xAABBCC", n, text.format("0xAABBCC")) for n in (3, 4, 5)), *(("word", n, text.format("word")) for n in range(3))]
+    assert rows(out.violations, "key", "ord", "message") == want
+    assert out.summary.first()[:] == (9, 2, 2)
+    plan = out.violations._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in ("Join", "Sort", "Aggregate", "Repartition") if x in plan]
+
+
 def test_assertions(of):
     out = rules.test_assertions(of({"tests/test_a.py": "def test_a(): pass\ndef test_b(): assert 1\nclass T:\n  def test_c(self): self.check()\n"}))
     assert rows(out.violations, "label", "assertions") == [("T.test_c", 0), ("test_a", 0)]
